@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.llm import bpe, fingerprint, mixing, quality, tokencount, topk
+from linewright.llm import bpe, fingerprint, lines, mixing, neardup, quality, tokencount, topk
 from linewright.llm.common import table
 
 
@@ -19,12 +19,20 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.read_pieces(tokenizer("piece_bpe_32k.model")))
 
@@ -42,7 +50,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality")))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op3_bpe, op7_token_counts, op8_mixing, op9_fingerprints, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_near_duplicates, op3_bpe, op6_line_dedup, op7_token_counts, op8_mixing, op9_fingerprints, op10_quality)}
 
 OP1_SQL = """
 WITH v AS (
