@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.llm import bpe, fingerprint, lines, mixing, neardup, quality, tokencount, topk
+from linewright.llm import bpe, fingerprint, lines, mixing, neardup, quality, subtree, suffix, tokencount, topk
 from linewright.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtree.word_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality")))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_near_duplicates, op3_bpe, op6_line_dedup, op7_token_counts, op8_mixing, op9_fingerprints, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_near_duplicates, op3_bpe, op4_suffix_array, op5_suffix_tree, op6_line_dedup, op7_token_counts, op8_mixing, op9_fingerprints, op10_quality)}
 
 OP1_SQL = """
 WITH v AS (
