@@ -57,7 +57,7 @@ def _sketch(batches, size, k):
     words = Words()
     for b in pieces(batches, 200):
         sets = [shingle_set(t, size, words) for t in texts(b.column(1))]
-        yield {"doc_id": b.column(0), "n": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "sketch": [s[:k].view(np.int64) for s in sets]}
+        yield {"doc_id": b.column(0), "row": b.column(2), "n": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "sketch": [s[:k].view(np.int64) for s in sets]}
 
 
 def _estimate(batches, k, num, den, least):
@@ -118,19 +118,14 @@ def prefixes(nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return rows.select(F.col("x.v").alias("v"), F.col("node").alias("id"), "n", (held - F.col("sole") - F.col("i")).alias("left"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links for each row of docs (doc_id, text); linked: den * shared >= num * union.
+def row_key():
+    """One long for each doc_id and text; rows that share it are the same row again."""
+    return F.xxhash64("doc_id", "text")
 
-    A-Z are lower-cased and words stand between ASCII white space; a text with fewer words than a shingle has its whole
-    sequence as one, a text without words none, and is linked with nothing. component_id is the smallest doc_id reachable,
-    links of equal sets included, kept says whether it is the row's own. A null doc_id is no component's unless it has no
-    other. n_links counts the linked sets that were verified for the row's own, which connect the component but need not be
-    all. Repeated rows have equal sets. Sets are told apart by 64-bit digests of 64-bit shingle hashes. Other columns are
-    ignored.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    base = scratch.save(map_arrow(docs.select("doc_id", "text"), _sketch, "doc_id long, n int, node long, sketch array<long>", shingle, k))
+
+def find_groups(docs: DataFrame, scratch: Scratch, shingle: int, num: int, den: int, k: int) -> DataFrame:
+    """doc_id, row, n_shingles, label, n_links for each row of docs; rows are connected exactly if they share a label."""
+    base = scratch.save(map_arrow(docs.select("doc_id", "text", row_key().alias("row")), _sketch, "doc_id long, row long, n int, node long, sketch array<long>", shingle, k))
     nodes = scratch.save(base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     lists = scratch.save(prefixes(nodes, k, num, den))
     least = least_shared(k, num, den)
@@ -157,8 +152,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 4, den: int =
     links, groups = connect(lists, verify, scratch, may)
     degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     groups = scratch.save(groups.withColumnRenamed("id", "node").join(degree, "node", "left"))
-    rows = base.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(groups, "node", "left")
-    rows = rows.withColumn("label", F.coalesce("label", "node"))
+    rows = base.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "node").join(groups, "node", "left")
+    return rows.select("doc_id", "row", "n_shingles", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, n_links for each row of docs (doc_id, text); linked: den * shared >= num * union.
+
+    A-Z are lower-cased and words stand between ASCII white space; a text with fewer words than a shingle has its whole
+    sequence as one, a text without words none, and is linked with nothing. component_id is the smallest doc_id reachable,
+    links of equal sets included, kept says whether it is the row's own. A null doc_id is no component's unless it has no
+    other. n_links counts the linked sets that were verified for the row's own, which connect the component but need not be
+    all. Repeated rows have equal sets. Sets are told apart by 64-bit digests of 64-bit shingle hashes. Other columns are
+    ignored.
+    """
+    rows = find_groups(docs, Scratch(docs.sparkSession), shingle, num, den, k)
     first = rows.groupBy("label").agg(F.min("doc_id").alias("first"))
     rows = rows.join(first, "label", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
+
+
+def representatives(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, k: int = K) -> DataFrame:
+    """The rows of docs that stay: of each group that near_duplicates finds, the one of smallest doc_id (null last).
+
+    Rows without words stay. Of rows that share doc_id and text one stays, whatever their other columns hold. Only keys of
+    rows that go are joined with the texts.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(find_groups(docs, scratch, shingle, num, den, k).where("n_shingles > 0"))
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row")
+    often = rows.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    gone = scratch.save(rows.join(often, "label").where(place != F.col("first")).select("row").distinct().withColumnRenamed("row", "_lw_row"))
+    again = scratch.save(rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_lw_row")))
+    kept = docs.withColumn("_lw_row", row_key()).join(gone, "_lw_row", "left_anti")
+    if not again.isEmpty():
+        twice = kept.join(again, "_lw_row", "left_semi").dropDuplicates(["_lw_row"])
+        kept = kept.join(again, "_lw_row", "left_anti").unionByName(twice)
+    return kept.select(*docs.columns)
