@@ -10,6 +10,7 @@ from __future__ import annotations
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,18 +126,18 @@ def score(features_: DataFrame, model: Discriminant, threshold: float = 0.3) ->
     return map_arrow(features_.select("doc_id", "x"), _scores, "doc_id long, score double, predicted int", model, threshold)
 
 
-def _score_texts(batches, model):
+def _accept(batches, text, model, threshold):
     for b in pieces(batches):
-        x = np.array([features(t) for t in texts(b.column(0))], float).reshape(b.num_rows, -1)
-        yield {c: b.column(i) for i, c in enumerate(b.schema.names) if i} | {"_lw_score": model.score(x)}
+        x = np.array([features(t) for t in texts(b.column(text))], float).reshape(b.num_rows, -1)
+        some = b.filter(pa.array(model.score(x) >= threshold))
+        yield {name: some.column(i) for i, name in enumerate(b.schema.names)}
 
 
-def score_rows(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """docs with the extra column _lw_score, text read in place."""
-    cols = [c for c in docs.columns if c != "text"]
-    inner = docs.select("text", *cols, F.col("text").alias("_lw_text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema if f.name != "text") + ", _lw_score double"
-    return map_arrow(inner, _score_texts, ddl, model).select(*[F.col("_lw_text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "_lw_score")
+def accept(docs: DataFrame, model: Discriminant, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores threshold or more, as they are; the text is read and scored in place."""
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema)
+    return map_arrow(numbered, _accept, ddl, docs.columns.index("text"), model, threshold).toDF(*docs.columns)
 
 
 def held_out(doc_id):
