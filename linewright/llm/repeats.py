@@ -30,7 +30,8 @@ _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _TABLES: dict = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of a fixed odd number and of its inverse."""
     if len(_TABLES.get("up", ())) < n:
         m = max(1 << 16, 2 * n)
         for name, x in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
@@ -40,7 +41,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of so many values, from the prefix sums of a polynomial."""
-    up, down = _powers(len(values))
+    up, down = powers(len(values))
     sums = np.concatenate([np.zeros(1, _U), (values * up).cumsum(dtype=_U)])
     return mix((sums[size:] - sums[:-size]) * down[: len(values) - size + 1])
 

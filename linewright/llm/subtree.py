@@ -2,8 +2,9 @@
 
 Suffixes that may repeat are split by what they start with into groups that fit in memory: contexts come together by a gram
 of words, and within a shard suffixes are split by prefixes that grow, a group that is small enough or ends alone being
-split no further. A group's tree is built level by level: each step reads a few more words of every suffix that still shares
-its path with another (more words as fewer suffixes remain) and branches. Internal nodes as deep as a window are repeats.
+split no further. Small groups are packed together. A tree is built from its root: each step reads the next words of every
+suffix that still shares its path with another as one edge, told apart by a 64-bit hash, and branches. Internal nodes as deep
+as a window are repeats.
 """
 
 from __future__ import annotations
@@ -15,45 +16,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewright.llm.common import Scratch, map_arrow, pieces, texts
-from linewright.llm.repeats import Symbols, covered, repeated
+from linewright.llm.fingerprint import mix
+from linewright.llm.repeats import Symbols, covered, powers, repeated
 
 LENGTH, GRAM = 50, 16
-#: Suffixes of a group whose tree is built at once, and words read of them per step, at least.
-SUFFIXES, READ = 1 << 16, 1 << 19
+#: Suffixes of a group whose tree is built at once, and words of an edge near the root, where most paths part.
+SUFFIXES, STEP = 1 << 16, 8
 
 
-def _branch(words: np.ndarray, node: np.ndarray, starts: np.ndarray, depth: int, take: int) -> np.ndarray:
-    """Child of each suffix: its node and the next words on its path."""
-    for d in range(depth, depth + take):
-        key = words[starts + d]
-        order = np.lexsort((key, node))
-        k, n = key[order], node[order]
-        child = np.zeros(len(order), np.int64)
-        child[1:] = np.cumsum((k[1:] != k[:-1]) | (n[1:] != n[:-1]))
-        node = np.empty(len(order), np.int64)
-        node[order] = child
-    return node
+class Paths:
+    """Hashes of any run of a shard's words, from prefix sums of a polynomial."""
 
+    def __init__(self, words: np.ndarray):
+        up, self.down = powers(len(words) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), (mix(words) * up[: len(words)]).cumsum(dtype=np.uint64)])
 
-def prefix_groups(words: np.ndarray, starts: np.ndarray, length: int):
-    """(suffixes, depth): groups by variable-length prefixes, each of SUFFIXES at most unless whole windows are equal."""
+    def children(self, node: np.ndarray, starts: np.ndarray, depth: int, take: int) -> np.ndarray:
+        """Child of each suffix: its node and the next words on its path, numbered from 0."""
+        at = starts + depth
+        edge = mix((self.sums[at + take] - self.sums[at]) * self.down[at])
+        return np.unique(mix(edge + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)[1]
+
+
+def prefix_groups(paths: Paths, starts: np.ndarray, length: int):
+    """(suffixes, node, depth): groups by variable-length prefixes, packed to SUFFIXES at most unless whole windows are equal.
+
+    A prefix that too many suffixes share grows by a word; one that a single suffix has is left out.
+    """
     open_ = [(starts, 0)]
     while open_:
         own, depth = open_.pop()
         if len(own) <= SUFFIXES or depth >= length:
-            yield own, depth
+            yield own, np.zeros(len(own), np.int64), depth
             continue
-        node = _branch(words, np.zeros(len(own), np.int64), own, depth, 1)
+        node = paths.children(np.zeros(len(own), np.int64), own, depth, 1)
         order = np.argsort(node, kind="stable")
-        open_ += [(own[part], depth + 1) for part in np.split(order, np.flatnonzero(np.diff(node[order])) + 1)]
-
-
-def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int, length: int):
+        own, node = own[order], node[order]
+        size = np.bincount(node)
+        large = np.flatnonzero(size > SUFFIXES)
+        ends = np.cumsum(size)
+        open_ += [(own[ends[k] - size[k] : ends[k]], depth + 1) for k in large]
+        some = np.flatnonzero((size > 1) & (size <= SUFFIXES))
+        pack = np.full(len(size), -1)
+        pack[some] = np.cumsum(size[some]) // SUFFIXES
+        of = pack[node]
+        own, node = own[of >= 0], node[of >= 0]
+        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(of[of >= 0])) + 1):
+            yield own[part], node[part], depth + 1
+
+
+def deep_nodes(paths: Paths, starts: np.ndarray, node: np.ndarray, depth: int, length: int):
     """(suffixes, node): those that share a node of the wanted depth with another suffix."""
-    node = np.zeros(len(starts), np.int64)
     while depth < length and len(starts):
-        take = min(length - depth, max(1, READ // len(starts)))
-        node = _branch(words, node, starts, depth, take)
+        take = min(length - depth, STEP if depth < STEP else length)
+        node = paths.children(node, starts, depth, take)
         depth += take
         shared = np.bincount(node)[node] > 1
         starts, node = starts[shared], node[shared]
@@ -70,9 +86,9 @@ def tree_solver(strings: list[bytes], _counts: list[int], docs: list[int], lengt
     owner = np.repeat(np.arange(len(lens)), room)
     starts = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room) + at[owner]
     whose = np.repeat(np.array(docs, np.int64), lens)
-    hit = np.zeros(len(words), bool)
-    for own, depth in prefix_groups(words, starts, length):
-        leaves, node = deep_nodes(words, own, depth, length)
+    hit, paths = np.zeros(len(words), bool), Paths(words)
+    for own, prefix, depth in prefix_groups(paths, starts, length):
+        leaves, node = deep_nodes(paths, own, prefix, depth, length)
         if len(leaves):
             least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, node, whose[leaves])

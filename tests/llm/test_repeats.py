@@ -40,7 +40,7 @@ def test_solvers(strings, length, data):
 
 def test_groups_by_prefix(monkeypatch):
     monkeypatch.setattr(subtree, "SUFFIXES", 5)
-    monkeypatch.setattr(subtree, "READ", 7)
+    monkeypatch.setattr(subtree, "STEP", 2)
     rng = random.Random(0)
     strings = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(12)]
     strings += strings[:3]
