@@ -23,7 +23,7 @@ from linewright.llm.common import Scratch, map_arrow, pieces, texts
 from linewright.llm.fingerprint import Words, mix
 
 #: Classes of one gram that a task gathers, symbols that a solver gets at once, windows cut at a time.
-GROUP, SHARD, CHUNK = 256, 1 << 20, 1 << 19
+GROUP, SHARD, CHUNK = 4096, 1 << 20, 1 << 19
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
