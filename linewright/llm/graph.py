@@ -40,15 +40,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(out)
 
 
-def connect(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, may: Callable[[str, str], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def connect(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, may: Callable[[str, str], Column] | None = None, odd: str = "id") -> tuple[DataFrame, DataFrame]:
     """(links, id with label) for the groups of ids that links join; a link is a pair that stands in some list and passes verify.
 
     lists: v, id and whatever may() looks at; may(p, q) is a cheap necessary condition on the aliases p and q. Every list's
-    smallest id is tried against the others first, which connects a list of near copies in as many pairs as it has members.
+    hub, its member of the least column odd and then id, is tried against the others first, which connects a list of near
+    copies in as many pairs as it has members.
     Only pairs that are still in different groups are tried then, so that groups come out as if all pairs had been tried.
     """
     lists = lists.where(F.col("id").isNotNull())
-    hubs = scratch.save(lists.groupBy("v").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    hubs = scratch.save(lists.groupBy("v").agg(F.min(F.struct(odd, F.col("id").alias("_id")))["_id"].alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
     lists = scratch.save(lists.join(hubs, "v"))
     may = may or (lambda p, q: F.lit(True))
     cols = [c for c in lists.columns if c not in ("v", "hub")]

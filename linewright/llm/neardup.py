@@ -1,10 +1,11 @@
 """MinHash near-duplicates by bottom-k sketches of one hash function.
 
-A text's set is its distinct word shingles; equal sets are one node. A node's sketch is its k smallest shingle hashes. The
-inverted lists of the retained values, rarest values first, generate overlaps: two sets with the wanted similarity share so
-many retained values that they meet in one of each other's rarest ones (a prefix). The bottom-k of the union then estimates
-the similarity, and pairs that may pass are verified on their whole sets. Bounds on sketches over k come from the binomial
-law at a miss chance of MISS for a pair right at the threshold; sets of up to k shingles are bounded without chance.
+A text's set is its distinct word shingles; equal sets are one node. A node's sketch is its k smallest shingle hashes; a set
+of up to WHOLE shingles is also retained whole, and so are those little larger that it may be similar to. The inverted lists
+of the retained values, rarest values first, generate overlaps: two sets with the wanted similarity share so many retained
+values that they meet in one of each other's rarest ones (a prefix). The bottom-k of the union then estimates the similarity,
+and pairs that may pass are verified on their whole sets. Bounds on sketches come from the binomial law at a miss chance of
+MISS for a pair right at the threshold; whole sets are bounded without chance.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from linewright.llm.common import Scratch, map_arrow, pieces, texts
 from linewright.llm.fingerprint import Words, mix
 from linewright.llm.graph import connect
 
-K = 64
+K, WHOLE = 64, 256
 MISS = 1e-9
 _U = np.uint64
 
@@ -53,23 +54,28 @@ def least_shared(k: int, num: int, den: int) -> int:
     return max(1, min(c, int(k * max(0.0, 2 - den / num))))
 
 
-def _sketch(batches, size, k):
+def largest_whole(k: int, num: int, den: int) -> int:
+    """Shingles of the largest set that one of WHOLE may be similar to."""
+    return max(k, WHOLE) * den // num
+
+
+def _sketch(batches, size, k, top):
     words = Words()
     for b in pieces(batches, 200):
         sets = [shingle_set(t, size, words) for t in texts(b.column(1))]
-        yield {"doc_id": b.column(0), "row": b.column(2), "n": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "sketch": [s[:k].view(np.int64) for s in sets]}
+        yield {"doc_id": b.column(0), "row": b.column(2), "n": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "sketch": [(s if len(s) <= top else s[:k]).view(np.int64) for s in sets]}
 
 
-def _estimate(batches, k, num, den, least):
-    """Pairs that their sketches leave possible; sure: both sets are whole in their sketches, so this has been exact."""
+def _estimate(batches, k, num, den, least, top):
+    """Pairs that their sketches leave possible; sure: both sets are retained whole, so this has been exact."""
     for b in batches:
         a, c = b.column(0).to_numpy(), b.column(1).to_numpy()
         na, nc = b.column(2).to_numpy(), b.column(3).to_numpy()
         sa, sc = ([x.values.to_numpy().view(_U)] + [x.offsets.to_numpy()] for x in (b.column(4), b.column(5)))
-        good, sure = np.zeros(len(a), bool), (na <= k) & (nc <= k)
+        good, sure = np.zeros(len(a), bool), (na <= top) & (nc <= top)
         for i in range(len(a)):
             x, y = (s[0][s[1][i] : s[1][i + 1]] for s in (sa, sc))
-            both = np.sort(np.concatenate([x, y]), kind="stable")
+            both = np.sort(np.concatenate([x, y] if sure[i] else [x[:k], y[:k]]), kind="stable")
             twice = both[1:] == both[:-1]
             if sure[i]:
                 shared = int(twice.sum())
@@ -103,19 +109,24 @@ def _verify(batches, num, den):
 
 
 def prefixes(nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """v, id, n, left: each node's rarest retained values that some other node also retains, as many as a pair must meet in.
+    """v, id, n, whole, sole, left: each node's rarest retained values that some other node also retains, as many as a pair must meet in.
 
-    left: retained values from this one on, in order of rarity, which bounds what a pair first meeting here can share.
+    Whole sets meet among themselves, sketches among themselves, so a value's frequency is one number. sole: values that no
+    other node retains. left: retained values from this one on, in order of rarity, which bounds what a pair first meeting
+    here can share.
     """
-    values = nodes.select("node", F.explode("sketch").alias("v"))
+    base, top = max(k, WHOLE), largest_whole(k, num, den)
+    kinds = F.array_compact(F.array(F.when(F.col("n") <= top, F.lit(True)), F.when(F.col("n") >= base, F.lit(False))))
+    own = nodes.select("node", "n", "sketch", F.explode(kinds).alias("whole"))
+    value = F.when(F.col("whole"), F.col("v")).otherwise(F.bitwise_not("v"))
+    values = own.select("node", "n", "whole", F.explode(F.when(F.col("whole"), F.col("sketch")).otherwise(F.slice("sketch", 1, k))).alias("v")).select("node", "n", "whole", value.alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    shared = values.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("s"))  # k values at most
-    held = F.least(F.col("n"), F.lit(k))
-    must = F.when(F.col("n") > k, F.lit(least_shared(k, num, den))).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n") * max(0.0, 2 - den / num) - 1e-9)))
-    sole = held - F.size("s")
-    rows = shared.join(nodes.select("node", "n"), "node").withColumn("sole", sole).withColumn("take", (held - must + 1 - F.col("sole")).cast("int")).where("take > 0")
-    rows = rows.select("node", "n", "sole", F.posexplode(F.slice("s", F.lit(1), F.col("take"))).alias("i", "x"))
-    return rows.select(F.col("x.v").alias("v"), F.col("node").alias("id"), "n", (held - F.col("sole") - F.col("i")).alias("left"))
+    shared = values.join(often, "v").groupBy("node", "n", "whole").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("s"))  # a set's values at most
+    held = F.when(F.col("whole"), F.col("n")).otherwise(F.lit(k))
+    must = F.when(F.col("whole"), F.greatest(F.lit(1), F.ceil(F.col("n") * max(0.0, 2 - den / num) - 1e-9))).otherwise(F.lit(least_shared(k, num, den)))
+    rows = shared.withColumn("sole", held - F.size("s")).withColumn("take", (held - must + 1 - F.col("sole")).cast("int")).where("take > 0")
+    rows = rows.select("node", "n", "whole", "sole", F.posexplode(F.slice("s", F.lit(1), F.col("take"))).alias("i", "x"))
+    return rows.select(F.col("x.v").alias("v"), F.col("node").alias("id"), "n", "whole", "sole", (held - F.col("sole") - F.col("i")).alias("left"))
 
 
 def row_key():
@@ -125,21 +136,20 @@ def row_key():
 
 def find_groups(docs: DataFrame, scratch: Scratch, shingle: int, num: int, den: int, k: int) -> DataFrame:
     """doc_id, row, n_shingles, label, n_links for each row of docs; rows are connected exactly if they share a label."""
-    base = scratch.save(map_arrow(docs.select("doc_id", "text", row_key().alias("row")), _sketch, "doc_id long, row long, n int, node long, sketch array<long>", shingle, k))
+    top, least = largest_whole(k, num, den), least_shared(k, num, den)
+    base = scratch.save(map_arrow(docs.select("doc_id", "text", row_key().alias("row")), _sketch, "doc_id long, row long, n int, node long, sketch array<long>", shingle, k, top))
     nodes = scratch.save(base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     lists = scratch.save(prefixes(nodes, k, num, den))
-    least = least_shared(k, num, den)
 
     def may(p, q):
         a, b = F.col(f"{p}n"), F.col(f"{q}n")
         shared = F.least(F.col(f"{p}left"), F.col(f"{q}left"))
-        small = F.greatest(a, b) <= k
-        return (F.least(a, b) * den >= F.greatest(a, b) * num) & (F.when(small, den * shared >= num * (a + b - shared)).otherwise(shared >= F.least(F.lit(least), F.greatest(F.lit(1), F.ceil(F.least(a, b, F.lit(k)) * max(0.0, 2 - den / num) - 1e-9)))))
+        return (F.least(a, b) * den >= F.greatest(a, b) * num) & F.when(F.col(f"{p}whole"), den * shared >= num * (a + b - shared)).otherwise(shared >= least)
 
     def verify(pairs):
         of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
         both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-        near = scratch.save(map_arrow(both, _estimate, "a long, b long, sure boolean", k, num, den, least))
+        near = scratch.save(map_arrow(both, _estimate, "a long, b long, sure boolean", k, num, den, least, top))
         open_ = near.where("not sure")
         ids = open_.select(F.col("a").alias("node")).unionAll(open_.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node")
         some = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node")
@@ -149,7 +159,7 @@ def find_groups(docs: DataFrame, scratch: Scratch, shingle: int, num: int, den:
         out = near.where("sure").select("a", "b").unionAll(map_arrow(whole, _verify, "a long, b long", num, den))
         return out
 
-    links, groups = connect(lists, verify, scratch, may)
+    links, groups = connect(lists, verify, scratch, may, "sole")
     degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     groups = scratch.save(groups.withColumnRenamed("id", "node").join(degree, "node", "left"))
     rows = base.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "node").join(groups, "node", "left")

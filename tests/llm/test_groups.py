@@ -96,8 +96,9 @@ def make(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "size", "num", "den"), [(1, 3, 85, 100), (2, 5, 4, 5), (3, 1, 1, 2)])
-def test_near_duplicates(spark, seed, size, num, den):
+@pytest.mark.parametrize(("seed", "size", "num", "den", "whole"), [(1, 3, 85, 100, 256), (1, 3, 85, 100, 64), (2, 5, 4, 5, 90), (3, 1, 1, 2, 1)])
+def test_near_duplicates(spark, monkeypatch, seed, size, num, den, whole):
+    monkeypatch.setattr(neardup, "WHOLE", whole)
     rows = make(seed)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size, num, den).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near(rows, size, num, den)
