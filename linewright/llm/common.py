@@ -60,6 +60,13 @@ class Scratch:
         for df in tables:
             _delete(self.spark, df._scratch_path)
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Drops all that has been saved but these; nothing that is still to run may read the others."""
+        kept = {df._scratch_path for df in tables}
+        for n in range(1, self.n + 1):
+            if (path := f"{self.at}/{n}") not in kept:
+                _delete(self.spark, path)
+
 
 def _delete(spark: SparkSession, path: str) -> None:
     try:

@@ -162,6 +162,7 @@ def find_groups(docs: DataFrame, scratch: Scratch, shingle: int, num: int, den:
     links, groups = connect(lists, verify, scratch, may, "sole")
     degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     groups = scratch.save(groups.withColumnRenamed("id", "node").join(degree, "node", "left"))
+    scratch.keep_only(base, groups)
     rows = base.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "node").join(groups, "node", "left")
     return rows.select("doc_id", "row", "n_shingles", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -194,6 +195,7 @@ def representatives(docs: DataFrame, shingle: int = 5, num: int = 4, den: int =
     often = rows.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     gone = scratch.save(rows.join(often, "label").where(place != F.col("first")).select("row").distinct().withColumnRenamed("row", "_lw_row"))
     again = scratch.save(rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_lw_row")))
+    scratch.keep_only(gone, again)
     kept = docs.withColumn("_lw_row", row_key()).join(gone, "_lw_row", "left_anti")
     if not again.isEmpty():
         twice = kept.join(again, "_lw_row", "left_semi").dropDuplicates(["_lw_row"])
