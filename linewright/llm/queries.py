@@ -46,8 +46,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
+    mixed = mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    place = F.col("position").asc_nulls_last()
+    return mixed.repartitionByRange(place, "doc_id").sortWithinPartitions(place, "doc_id")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linewright.llm import mixing, topk
+from linewright.llm import mixing, queries, topk
 
 
 def brute(rows, k, every=50):
@@ -120,3 +120,9 @@ def test_due_inverts_the_integral(spark, slope):
 
     rows = spark.range(101).select((F.col("id") / 100).alias("u")).withColumn("t", mixing.due(F.col("u"), F.lit(slope))).collect()
     assert all(abs(r.t + slope * (r.t**2 - r.t) - r.u) < 1e-8 for r in rows)
+
+
+def test_query_sorts_by_position(spark, sf_dir):
+    got = [r.position for r in queries.op8_mixing(spark, sf_dir).collect()]
+    assert None in got and len({x for x in got if x is not None}) > 10
+    assert got == sorted(got, key=lambda x: (x is None, x or 0))
