@@ -68,11 +68,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
     A source is gone through from its first document by md5 of the id, again from the start if its target is above its size,
     until the target's whole words are reached; the document in which it ends is taken in part. So a source's taken words
     miss its target by less than one, and no document exceeds limit times its size. Null sources are one source, a null
-    text has size 0, null ids come last in their source. Repeated rows are separate documents. Other columns are ignored
-    unless named in keep. A source's running sums come from sums per block of md5, so a hot source is spread over many tasks.
+    text has size 0, null ids come last in their source. Repeated rows are separate documents. Rows of one id come by size,
+    text and then whatever else keep names, so only equal rows change places. Other columns are ignored unless named in keep;
+    those may be of any type. A source's running sums come from sums per block of md5, so a hot source is spread over many tasks.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep))
+    # maps have no order, so what is kept is ordered by a hash of its JSON
+    tie = [F.xxhash64("text").alias("tie")] + [F.xxhash64(F.to_json(F.struct(*keep))).alias("tie2")] * bool(keep)
+    rows = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *tie, *keep))
     sums, n = rows.agg(F.count("*"), F.max("size")).first(), 1
     while n * BLOCK < sums[0] * 4 and n < 1 << 28:
         n *= 4
@@ -83,13 +86,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
     starts = per_block.withColumn("start", F.sum("block_size").over(Window.partitionBy("source").orderBy("block")) - F.col("block_size")).alias("b")
     starts = starts.join(by_source.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "b.block", "b.start", "place", "source_size", "target")
     starts = scratch.save(starts)
-    inner = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size", "tie", *["tie2"] * bool(keep)).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("end", F.sum("size").over(inner)).alias("r")
     out = summed.join(starts.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.block") == F.col("t.block")))
     words = F.floor(F.col("target")).cast("long")
     before = F.col("start") + F.col("end") - F.col("size")
     passes = sum(F.greatest(F.lit(0), F.least(F.col("size"), words - before - k * F.col("source_size"))) for k in range(limit))
-    out = out.select("doc_id", "size", "source_size", "target", passes.cast("long").alias("taken"), before.alias("before"), "place", "r.source", *[f"r.{c}" for c in keep])
+    out = out.select("doc_id", "size", "source_size", "target", passes.cast("long").alias("taken"), before.alias("before"), "place", "r.source", "r.tie", *[f"r.{c}" for c in keep])
     return out.withColumn("position", F.when(F.col("taken") > 0, due(F.col("before") / F.col("target"), _nth(slopes, F.col("place")))))
 
 
@@ -102,14 +105,20 @@ def due(u: Column, slope: Column) -> Column:
 
 def schedule(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs in training order, each as often as it is taken; at a source's end a document counts as a whole one
-    if at least half of it is taken. Columns are those of docs."""
+    if at least half of it is taken.
+
+    Columns are those of docs, of any type, and may hold nulls and names used here. Documents due at the same place (to nine
+    digits) come by doc_id, null first, then by a hash of the text, so that reruns agree but for equal rows. Repeated rows
+    are separate documents; documents without words are never taken.
+    """
     columns = docs.columns
     inner = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.struct(*columns).alias("_lw_row"))
     mixed = mix(inner, keep=("_lw_row",), **options)
     size, src, words = F.col("size"), F.col("source_size"), F.floor(F.col("target"))
     slope = _nth(options.get("slopes", SLOPES), F.col("place"))
     at = F.filter(F.transform(F.sequence(F.lit(0), F.lit(options.get("limit", LIMIT) - 1)), lambda k: F.col("before") + k * src), lambda x: 2 * (words - x) >= size)
-    placed = mixed.where(F.col("taken") > 0).select("_lw_row", F.col("target"), slope.alias("slope"), F.explode(at).alias("at"))
-    placed = placed.select("_lw_row", due(F.col("at") / F.col("target"), F.col("slope")).alias("position"))
-    ordered = placed.repartitionByRange("position").sortWithinPartitions("position")
+    placed = mixed.where(F.col("taken") > 0).select("_lw_row", "doc_id", "tie", F.col("target"), slope.alias("slope"), F.explode(at).alias("at"))
+    placed = placed.select("_lw_row", "doc_id", "tie", due(F.col("at") / F.col("target"), F.col("slope")).alias("position"))
+    place = ("position", "doc_id", "tie")
+    ordered = placed.repartitionByRange(*place).sortWithinPartitions(*place)
     return ordered.select("_lw_row.*")

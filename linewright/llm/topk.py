@@ -155,32 +155,39 @@ def _search(batches, k):
             q_ids, q = _open(r["q_n"], r["q_dim"], r["q_ids"], r["q_data"])
             ids, v = _open(r["n"], r["dim"], r["ids"], r["data"])
             found = retrieve(q_ids, q, np.frombuffer(r["theta"], "<f8"), ids, v, k)
-            yield {"query_id": found[0], "vec_id": found[1], "score": found[2]}
+            yield {"query_no": found[0], "no": found[1], "score": found[2]}
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k vectors of highest integer inner product, ties to smaller vec_id.
 
-    vectors: vec_id, embedding; components become floor(scale * x). A query never finds itself. Null vectors, those with a
-    null or non-finite component and null ids take no part; of rows that share a vec_id the smallest vector counts; a shorter
-    vector is padded with zeros; products beyond a long are held to its range. Other columns are ignored.
+    vectors: vec_id, embedding; components become floor(scale * x). A query never finds its own row. Null vectors, those with a
+    null or non-finite component (also once scaled) and null ids take no part. Rows that share a vec_id are rows like others:
+    each is a candidate, also of the other, and each that is a query has ranks of its own. A shorter vector is padded with
+    zeros; products beyond a long are held to its range. Other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession)
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    whole = F.transform("embedding", lambda x: F.rint(F.lit(float(scale)) * x.cast("double") - F.pmod(F.lit(float(scale)) * x.cast("double"), F.lit(1.0))))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(scaled(x)) < F.lit(float("inf"))))
+    # from 2**53 on a double is whole, and floor() would have to be a long
+    whole = F.transform("embedding", lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select("vec_id", whole.alias("v"))
-    rows = scratch.save(rows.groupBy("vec_id").agg(F.min("v").alias("v")))
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = rows.withColumn("squares", squares).repartitionByRange(parts, F.col("squares").desc(), "vec_id").sortWithinPartitions(F.col("squares").desc(), "vec_id")
-    buckets = scratch.save(map_arrow(sorted_.select("vec_id", "v"), _blocks, BLOCK, BUCKET))
-    queries = map_arrow(rows.where(is_query(F.col("vec_id"))).repartition(parts, "vec_id"), _blocks, BLOCK, QUERIES)
+    # rows are numbered in the order of vec_id, so a smaller number is a smaller vec_id
+    placed = rows.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id")
+    rows = scratch.save(placed.select(F.monotonically_increasing_id().alias("no"), "vec_id", "v"))
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    sorted_ = rows.withColumn("squares", squares).repartitionByRange(parts, F.col("squares").desc(), "no").sortWithinPartitions(F.col("squares").desc(), "no")
+    buckets = scratch.save(map_arrow(sorted_.select("no", "v"), _blocks, BLOCK, BUCKET))
+    queries = map_arrow(rows.where(is_query(F.col("vec_id"))).select("no", "v").repartition(parts, "no"), _blocks, BLOCK, QUERIES)
     longest = buckets.orderBy(F.col("top").desc(), "block").limit(1).select(F.lit(1).alias("one"), *[F.col(c).alias(f"v_{c}") for c in ("n", "dim", "ids", "data")])
     # one bucket, of bounded size by construction
     seeded = scratch.save(map_arrow(queries.withColumn("one", F.lit(1)).join(F.broadcast(longest), "one"), _seed, "q_block long, need double, q_n int, q_dim int, q_ids binary, q_data binary, theta binary", k))
     # blocks against buckets, by their numbers alone; rows follow by equality
     pairs = seeded.select("q_block", "need").join(buckets.select("block", "top"), F.col("top") >= F.col("need")).select("q_block", "block")
     full = pairs.join(seeded, "q_block").repartition(parts, "block").join(buckets, "block").select(*seeded.columns, *buckets.columns)
-    hits = map_arrow(full, _search, "query_id long, vec_id long, score long", k)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = map_arrow(full, _search, "query_no long, no long, score long", k)
+    rank = F.row_number().over(Window.partitionBy("query_no").orderBy(F.col("score").desc(), "no"))
+    best = hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    name = lambda no, vec_id: rows.select(F.col("no").alias(no), F.col("vec_id").alias(vec_id))
+    return best.join(name("query_no", "query_id"), "query_no").join(name("no", "vec_id"), "no").select("query_id", "rank", "vec_id", "score")

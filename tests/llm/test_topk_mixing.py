@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -7,17 +10,16 @@ from linewright.llm import mixing, queries, topk
 
 
 def brute(rows, k, every=50):
-    """vec_id -> first vector by components, then all products in whole numbers."""
-    own = {}
+    """All products in whole numbers; each row is a candidate for every row but itself."""
+    own = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        c = [int(np.floor(256 * float(x))) for x in v]
-        own[i] = min(own.get(i, c), c)
+        own.append((i, [math.floor(Fraction(float(x)) * 256) for x in v]))
     out = []
-    for q, a in own.items():
+    for at, (q, a) in enumerate(own):
         if q % every == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in own.items() if i != q)[:k]
+            found = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for n, (i, b) in enumerate(own) if n != at)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -38,6 +40,22 @@ def test_top_k(spark, monkeypatch, kind):
     assert got == brute(rows, 5)
 
 
+def test_floor_of_tiny_and_huge_components(spark):
+    tiny = [(50, [-1e-20, 1.0]), (51, [1.0, 0.5]), (52, [0.5, 0.5]), (100, [-5e-324, 0.0]), (101, [-1e-3, 0.25])]
+    edge = [(150, [2.0**45, 0.0]), (151, [-(2.0**45), 1 / 256]), (152, [2.0**45 - 2**-8, -1 / 512]), (153, [1.0, 1.0])]
+    for rows in (tiny, edge):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, lambda i: i % 50 == 0).collect())
+        limit = 2**63
+        assert got == [(q, n, i, max(-limit, min(limit - 1, s))) for q, n, i, s in brute(rows, 5)]
+
+
+def test_rows_that_share_a_vec_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [2.0, 0.0]), (50, [2.0, 0.0]), (3, [1.0, 1.0]), (3, [0.5, 0.0]), (4, [0.0, 1.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0).collect())
+    assert got == brute(rows, 5) and len(got) == 15
+
+
 def test_top_k_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (50, [-1.0])], "vec_id long, embedding array<float>")
     assert sorted((r.query_id, r.rank, r.vec_id) for r in topk.top_k(df, lambda i: i % 50 == 0).collect()) == [(0, 1, 1), (0, 2, 50), (50, 1, 0), (50, 2, 1)]
