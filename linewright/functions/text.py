@@ -51,7 +51,7 @@ def escape_automaton(c: Column) -> Column:
 
 def characters(c: Column) -> Column:
     """Array of code points; empty for an empty text."""
-    return F.filter(F.split(c, ""), lambda x: x != "")
+    return F.array_remove(F.split(c, ""), "")
 
 
 def long_enough(line: Column) -> Column:

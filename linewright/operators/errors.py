@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from linewright.functions import text
 from linewright.functions.align import count_confusions
+from linewright.functions.tables import saved
 from linewright.functions.text import GAP, VISIBLE_GAP, characters, strip_gaps
+from linewright.operators.ngrams import shifted
 
 #: Rules that weigh more are left out.
 RULE_WEIGHT = 7.0
@@ -28,23 +30,21 @@ def confusions(pairs: DataFrame, max_n: int = 3) -> DataFrame:
 def positional_confusions(pairs: DataFrame, max_n: int = 3) -> DataFrame:
     """n, raw, gt, cnt place by place from the left, the shorter text followed by gaps: no alignment, so all of it is columns."""
     width = F.greatest(F.length("ocr"), F.length("gt"))
-    both = pairs.where((F.col("ocr") != "") & (F.col("gt") != "")).select(*[characters(F.rpad(c, width, GAP)).alias(k) for c, k in (("ocr", "o"), ("gt", "g"))])
-
-    def grams(i):
-        run = lambda c, n: F.array_join(F.slice(c, i + 1, n), "")
-        return F.array_compact(F.array(*[F.when(i + n <= F.size("o"), F.struct(F.lit(n).alias("n"), run(F.col("o"), n).alias("raw"), run(F.col("g"), n).alias("gt"))) for n in range(1, max_n + 1)]))
-
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("o") - 1), grams))
-    return both.select(F.inline(every)).groupBy("n", "raw", "gt").agg(F.count("*").alias("cnt"))
+    some = pairs.where((F.col("ocr") != "") & (F.col("gt") != "")).groupBy("ocr", "gt").agg(F.count("*").alias("times"))
+    both = some.select("times", *[characters(F.rpad(c, width, GAP)).alias(k) for c, k in (("ocr", "o"), ("gt", "g"))])
+    places = both.select("times", F.explode(F.arrays_zip(*shifted(F.col("o"), max_n, "o"), *shifted(F.col("g"), max_n, "g"))).alias("z"))
+    run = lambda c, n: F.concat(*[F.col(f"z.{c}{k}") for k in range(n)])  # noqa: E731  null beyond the end
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), run("o", n).alias("raw"), run("g", n).alias("gt")) for n in range(1, max_n + 1)])
+    return places.select("times", F.inline(grams)).where("raw is not null").groupBy("n", "raw", "gt").agg(F.sum("times").alias("cnt"))
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
-    """n, raw, gt, prob: share of gt among what raw was confused with.
+    """n, raw, gt, prob: share of gt among what raw was confused with. Counts are saved, as they are looked at twice.
 
     No character is also confused with no character, wherever nothing was inserted: so the single gap, if it was ever
     inserted at, has as many occurrences as its n has places.
     """
-    gap = F.col("raw") == GAP
+    counts, gap = saved(counts), F.col("raw") == GAP
     idle = counts.groupBy("n").agg(F.sum("cnt").alias("places"), F.sum(F.when(gap, F.col("cnt"))).alias("inserted")).where("inserted > 0")
     idle = idle.select("n", F.lit(GAP).alias("raw"), F.lit(GAP).alias("gt"), (F.col("places") - F.col("inserted")).alias("cnt"))
     every = counts.select("n", "raw", "gt", "cnt").unionByName(idle)
