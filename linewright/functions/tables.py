@@ -36,11 +36,17 @@ def remove(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nobody uses; what is there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/linewright-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df as a table of its own; the shuffle files behind it are removed at once."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/linewright-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    path = new_path(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

@@ -18,9 +18,14 @@ def tokens(lines: DataFrame) -> DataFrame:
 
 
 def token_problems(lines: DataFrame) -> DataFrame:
-    """token, cnt of tokens that were probably cut wrongly: with white space at an end, or a dash left on."""
+    """token, cnt of language tokens of lines (line) that were probably cut wrongly."""
+    return problems(tokens(lines))
+
+
+def problems(tokens_: DataFrame) -> DataFrame:
+    """token, cnt of tokens (token) with white space at an end, or with a dash left on."""
     t = F.col("token")
-    return tokens(lines).where(text.outer_whitespace(t) | text.trailing_dash(t)).groupBy("token").agg(F.count("*").alias("cnt"))
+    return tokens_.where(text.outer_whitespace(t) | text.trailing_dash(t)).groupBy("token").agg(F.count("*").alias("cnt"))
 
 
 def build(lines: DataFrame, word_list: DataFrame | None = None) -> DataFrame:

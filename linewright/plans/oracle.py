@@ -112,6 +112,7 @@ def _rules(probs: str, identity: bool = False, more: str = "true") -> str:
 
 
 CONFUSED = f", confused AS MATERIALIZED ({_confusions('triples')}), probs AS MATERIALIZED ({_probabilities('confused')})"
+PUNCTUATED = f", punctuated AS (SELECT replace(ocr, ',', '.') AS ocr, gt FROM triples), confused AS MATERIALIZED ({_confusions('punctuated')}), probs AS MATERIALIZED ({_probabilities('confused')})"
 TOKEN_PAIRS = f", token_pairs AS (SELECT token AS ocr, {_decomposed('token')} AS gt FROM tokens), confused AS MATERIALIZED ({_confusions('token_pairs')}), probs AS MATERIALIZED ({_probabilities('confused')})"
 RULES = f", rules AS MATERIALIZED (SELECT raw, gt, min(weight) AS weight FROM ({_rules('probs')}) GROUP BY ALL)"
 
@@ -158,12 +159,14 @@ PRUNED = (
       GROUP BY input, output, n HAVING count(*) = n
     ), pruned AS MATERIALIZED (SELECT input, output, cost FROM known QUALIFY cost <= min(cost) OVER (PARTITION BY input) + 5000000)"""
 )
-SCORED = PRUNED + """, scored AS MATERIALIZED (
+UNCHANGED = PRUNED.replace(_rewrites("windows", 1), ", rewrites AS MATERIALIZED (SELECT DISTINCT input, input AS output, 0::BIGINT AS cost FROM windows)")
+_SCORED = """, scored AS MATERIALIZED (
   SELECT input, output, cost FROM pruned
   UNION ALL SELECT input, input, CAST(round(1.5 * (length(input) + 2) * 1000000) AS BIGINT) FROM (SELECT DISTINCT input FROM windows WHERE NOT contains(input, ' '))
 )"""
+SCORED = PRUNED + _SCORED
 DECODER = f"{WITH_LEXICON}{WEIGHTS}{CONFUSED}{RULES}{WINDOWS}"
-PATHS = SCORED + """, best AS MATERIALIZED (SELECT line_id, n_tokens, start, len, b.cost AS cost, b.output AS output FROM windows JOIN (SELECT input, min({'cost': cost, 'output': output}) AS b FROM scored GROUP BY input) USING (input)),
+_PATHS = """, best AS MATERIALIZED (SELECT line_id, n_tokens, start, len, b.cost AS cost, b.output AS output FROM windows JOIN (SELECT input, min({'cost': cost, 'output': output}) AS b FROM scored GROUP BY input) USING (input)),
 steps AS MATERIALIZED (
   SELECT line_id, n_tokens, spot, max(cost) FILTER (len = 1) AS c1, max(output) FILTER (len = 1) AS o1, max(cost) FILTER (len = 2) AS c2, max(output) FILTER (len = 2) AS o2 FROM (SELECT *, start + len AS spot FROM best) GROUP BY line_id, n_tokens, spot
 ),
@@ -177,6 +180,9 @@ ways AS (
 ),
 paths AS MATERIALIZED (SELECT line_id, p1.output AS output, p1.cost / 1000000.0::DOUBLE AS weight FROM ways WHERE spot = n)"""
 
+PATHS = SCORED + _PATHS
+LEXICON_ONLY = f"{WITH_LEXICON}{WEIGHTS}{WINDOWS}{UNCHANGED}{_SCORED}{_PATHS}"
+
 
 def _bigrams(column: str) -> str:
     return f"SELECT substr(s, pos + 1, 1) AS x, substr(s, pos + 2, 1) AS y, count(*)::DOUBLE AS p FROM (SELECT s, unnest(range(length(s) - 1)) AS pos FROM (SELECT {column} AS s FROM triples)) GROUP BY ALL"
@@ -187,6 +193,7 @@ def _normal(rows: str) -> str:
 
 
 WITH = f"WITH RECURSIVE {LINES}"
+_SPACE = r"[\s\pZ\x0b\x1c-\x1f\x85]"
 _EDITS = f"SELECT line_id, {_distance('ocr', 'gt')} AS edits_ocr, {_distance('cor', 'gt')} AS edits_cor, length(gt) AS len_gt FROM triples"
 _WORDS = r"""WITH parts AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
 texts AS (SELECT doc_id AS page_id, CAST(line // 20 AS INT) AS region, line, array_to_string(list_filter(string_split_regex(l, '\s+'), lambda x: x <> ''), ' ') AS s FROM parts)
@@ -209,7 +216,19 @@ ORACLE_SQL: dict[str, str] = {
     "tokens_whitespace": f"{WITH} SELECT doc_id, generate_subscripts(t, 1)::INT - 1 AS pos, unnest(t) AS token FROM toks",
     "tokens_short_line_filter": "SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(line) >= 3) AS n_kept FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id",
     "token_class": f"{WITH}, {TOKENS} SELECT class, count(*) AS cnt FROM tokens GROUP BY class",
-    "token_problems": f"{WITH}, {TOKENS} SELECT token, count(*) AS cnt FROM tokens WHERE trim(token) <> token OR (length(token) > 1 AND ends_with(token, '—')) GROUP BY token",
+    "token_problems": f"""{WITH}, x AS (SELECT generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS t FROM toks), y AS (SELECT CASE WHEN pos % 3 = 0 THEN t || '—' ELSE '—' || t END AS token FROM x)
+      SELECT token, count(*) AS cnt FROM y WHERE trim(token) <> token OR (length(token) > 1 AND ends_with(token, '—')) GROUP BY token""",
+    "round_trip_pairs": f"{WITH} SELECT line_id, gt AS text FROM triples",
+    "round_trip_keyed": "SELECT 'c' || conv_id AS line_id, 't' || max(turn) AS text FROM conversations GROUP BY conv_id",
+    "round_trip_files": f"SELECT * FROM (SELECT 'd' || doc_id AS line_id, regexp_replace(regexp_replace(l, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE text <> ''",
+    "round_trip_training_pairs": f"{WITH} SELECT ocr, gt FROM triples",
+    "round_trip_lines": f"SELECT line, count(*) AS cnt FROM (SELECT regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '{_SPACE}+$', '') AS line FROM documents) GROUP BY line",
+    "round_trip_frequencies": f"{WITH}, {TOKENS}{TOKEN_PAIRS} SELECT raw, gt, round(prob, 6) AS prob FROM probs WHERE n = 1",
+    "round_trip_ngrams": f"{WITH}, {VOCABULARY} SELECT ngram, id FROM vocabulary",
+    "word_windows": r"""WITH l AS (SELECT doc_id AS page_id, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS line_no, unnest(string_split(text, chr(10))) AS l FROM documents),
+      w AS (SELECT page_id, line_no, list_filter(string_split_regex(l, '\s+'), lambda x: x <> '') AS t FROM l), n AS (SELECT *, unnest(range(len(t)))::INT AS start FROM w WHERE len(t) > 0),
+      r AS (SELECT *, unnest(range(1, least(2, len(t) - start) + 1))::INT AS len FROM n)
+      SELECT page_id, line_no, len(t)::INT AS n_tokens, start, len, array_to_string(t[start + 1 : start + len], ' ') AS input, CASE len WHEN 1 THEN 'w' || start ELSE 'w' || start || ',w' || (start + 1) END AS ids FROM r""",
     "number_mask": f"{WITH}, {TOKENS} SELECT DISTINCT token, {_MASK.format('token')} AS out FROM tokens",
     "umlaut_decompose": f"{WITH}, {TOKENS} SELECT DISTINCT token, {_decomposed('token')} AS out FROM tokens",
     "case_variant": f"{WITH}, {TOKENS} SELECT DISTINCT token, {_VARIANT.format('token')} AS out FROM tokens",
@@ -236,7 +255,8 @@ ORACLE_SQL: dict[str, str] = {
     "confusion_rules": f"{WITH}{CONFUSED} SELECT n, raw, gt, round(weight, 6) AS weight FROM ({_rules('probs')})",
     "confusion_rules_gaps": f"{WITH}, {TOKENS}{TOKEN_PAIRS} SELECT n, raw, gt, round(weight, 6) AS weight FROM ({_rules('probs', True)})",
     "punctuation_edits": f"{WITH}, {TOKENS}{TOKEN_PAIRS} SELECT DISTINCT raw, gt, {_punctuation_edit('raw', 'gt')} AS edit FROM (SELECT raw, gt FROM confused WHERE n = 1 UNION ALL SELECT raw, gt FROM ({_confusions('triples', 1)}))",
-    "punctuation_filter": f"{WITH}{CONFUSED} SELECT n, raw, gt, round(weight, 6) AS weight FROM ({_rules('probs', more='len(list_filter(range(1, n + 1), lambda i: ' + _punctuation_edit('raw[i]', 'gt[i]') + ')) = 0')})",
+    "punctuation_rules": f"{WITH}{PUNCTUATED} SELECT n, raw, gt, round(weight, 6) AS weight FROM ({_rules('probs')})",
+    "punctuation_filter": f"{WITH}{PUNCTUATED} SELECT n, raw, gt, round(weight, 6) AS weight FROM ({_rules('probs', more='len(list_filter(range(1, n + 1), lambda i: ' + _punctuation_edit('raw[i]', 'gt[i]') + ')) = 0')})",
     "rules_combined": f"{WITH}{CONFUSED}{RULES} SELECT raw, gt, round(weight, 6) AS weight FROM rules",
     "rules_alphabet": f"{WITH}{CONFUSED}{RULES} SELECT DISTINCT unnest(string_split(raw || gt, '')) AS symbol FROM rules",
     "row_normalise": f"{WITH} SELECT x, y, round(p, 6) AS p FROM ({_normal(_bigrams('ocr'))})",
@@ -252,6 +272,7 @@ ORACLE_SQL: dict[str, str] = {
     "lattice_edges": f"{DECODER}{SCORED} SELECT line_id, start AS src, start + len AS dst, n, b.output AS best, round(pow(2.0, -(b.cost / 1000000.0::DOUBLE)), 6) AS conf FROM windows JOIN (SELECT input, count(*) AS n, min({{'cost': cost, 'output': output}}) AS b FROM scored GROUP BY input) USING (input)",
     "lattice_best_path": f"{DECODER}{PATHS} SELECT * FROM paths",
     "correct_lines_one_edit": f"{DECODER}{PATHS} SELECT line_id, output FROM paths",
+    "correct_lines_lexicon_only": f"{LEXICON_ONLY} SELECT line_id, output FROM paths",
     "text_rollup": _WORDS,
     "text_rollup_glyphs": _WORDS,
     "majority_vote": "SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM documents WHERE lang IS NOT NULL GROUP BY source, lang) WHERE r = 1",

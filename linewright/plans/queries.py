@@ -11,7 +11,9 @@ from linewright.functions import text
 from linewright.functions.align import with_alignment
 from linewright.operators import em, errors, evaluate, lattice, lexicon, lm, ngrams, page, stochastic
 from linewright.plans import fixtures
+from linewright.functions.tables import new_path
 from linewright.sources import lines as sources
+from linewright.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Rounding of weights and probabilities in results.
@@ -128,6 +130,59 @@ def lexicon_source_union(spark, sf_dir):
     return sources.lexicon_lines(fixtures.pairs(spark, sf_dir), corpus).groupBy("line").agg(F.count("*").alias("cnt"))
 
 
+# What sinks write, read again by sources.
+
+
+@query
+def round_trip_pairs(spark, sf_dir):
+    sinks.write_pairs(fixtures.keyed(spark, sf_dir, "gt"), path := new_path(spark), "line_id")
+    return sources.read_pairs(spark, path)[0].select("line_id", "text")
+
+
+@query
+def round_trip_keyed(spark, sf_dir):
+    """Two versions written one after another: of lines with one id the last counts."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("line_id"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("text"), "turn")
+    sinks.write_pairs(turns.coalesce(1), path := new_path(spark), "turn")
+    return sources.read_keyed(spark, path)
+
+
+@query
+def round_trip_files(spark, sf_dir):
+    """A file for each document; its lines that are not blank come back under its name."""
+    docs = fixtures.documents(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("line_id"), "text")
+    sinks.write_directory(docs, path := new_path(spark), "gt.txt")
+    return sources.read_directory(spark, path, "gt.txt").select("line_id", "text")
+
+
+@query
+def round_trip_training_pairs(spark, sf_dir):
+    """Pairs joined by id from two files."""
+    paths = [new_path(spark) for _ in range(2)]
+    for c, path in zip(("ocr", "gt"), paths, strict=True):
+        sinks.write_pairs(fixtures.keyed(spark, sf_dir, c), path)
+    return sources.read_training_pairs(spark, input_file=paths[0], gt_file=paths[1])
+
+
+@query
+def round_trip_lines(spark, sf_dir):
+    rows = fixtures.documents(spark, sf_dir).select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("value"))
+    rows.write.text(path := new_path(spark))
+    return sources.read_lines(spark, path).groupBy("line").agg(F.count("*").alias("cnt"))
+
+
+@query
+def round_trip_frequencies(spark, sf_dir):
+    sinks.write_frequencies(errors.probabilities(errors.positional_confusions(_token_pairs(spark, sf_dir), 1)), path := new_path(spark))
+    return rounded(sources.read_frequencies(spark, path), "prob")
+
+
+@query
+def round_trip_ngrams(spark, sf_dir):
+    sinks.write_ngrams(ngrams.vocabulary(fixtures.pairs(spark, sf_dir)), path := new_path(spark))
+    return sources.read_ngrams(spark, path)
+
+
 # Text.
 
 
@@ -149,7 +204,10 @@ def token_class(spark, sf_dir):
 
 @query
 def token_problems(spark, sf_dir):
-    return lexicon.token_problems(gt_lines(spark, sf_dir))
+    """No language token of these lines is cut wrongly, so white space tokens stand in, every third of which is followed by a dash."""
+    t = fixtures.documents(spark, sf_dir).select(F.posexplode(text.whitespace_tokens(F.col("text"))).alias("pos", "t"))
+    tokens = t.select(F.when(F.col("pos") % 3 == 0, F.concat("t", F.lit("—"))).otherwise(F.concat(F.lit("—"), "t")).alias("token"))
+    return lexicon.problems(tokens)
 
 
 def _distinct_tokens(spark, sf_dir):
@@ -312,9 +370,20 @@ def punctuation_edits(spark, sf_dir):
     return seen.select("raw", "gt", text.is_punctuation_edit(F.col("raw"), F.col("gt")).alias("edit")).distinct()
 
 
+def _punctuated(spark, sf_dir):
+    """Pairs whose commas are also misread, so that rules put punctuation."""
+    return fixtures.pairs(spark, sf_dir).withColumn("ocr", F.replace("ocr", F.lit(","), F.lit(".")))
+
+
+@query
+def punctuation_rules(spark, sf_dir):
+    return rounded(errors.rules(errors.probabilities(errors.positional_confusions(_punctuated(spark, sf_dir)))), "weight")
+
+
 @query
 def punctuation_filter(spark, sf_dir):
-    return rounded(errors.rules(errors.probabilities(confusion_counts_positional(spark, sf_dir)), keep_punctuation=True), "weight")
+    """punctuation_rules without those that put or change punctuation."""
+    return rounded(errors.rules(errors.probabilities(errors.positional_confusions(_punctuated(spark, sf_dir))), keep_punctuation=True), "weight")
 
 
 def _rules(spark, sf_dir):
@@ -524,6 +593,19 @@ def merged_words(spark, sf_dir):
     return rows.select("source", "run", page.merge_words(words).alias("m")).select("source", "run", F.col("m._id").alias("ids"), F.col("m._language").alias("lang"))
 
 
+@query
+def word_windows(spark, sf_dir):
+    """Lines of words with ids; a window of two words has one merged word."""
+    docs = fixtures.documents(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "l"))
+    none = lambda kind: F.lit(None).cast(kind)
+    word = lambda t, i: F.struct(
+        F.concat(F.lit("w"), i.cast("string")).alias("_id"), F.lit("de").alias("_language"), none("string").alias("Coords"),
+        F.array(F.struct(none("double").alias("_conf"), t.alias("Unicode"))).alias("TextEquiv"), none("string").alias("TextStyle"),
+    )
+    lines = docs.select("page_id", "line_no", F.transform(text.whitespace_tokens(F.col("l")), word).alias("words"))
+    return page.word_windows(lines).select("page_id", "line_no", "n_tokens", "start", "len", "input", F.col("word._id").alias("ids"))
+
+
 @query
 def context_decade(spark, sf_dir):
     """Identifiers as file paths that may end in a year."""
