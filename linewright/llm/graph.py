@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.llm.common import Scratch
@@ -40,39 +40,37 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(out)
 
 
-def connect(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, may: Callable[[str, str], Column] | None = None, odd: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(links, id with label) for the groups of ids that links join; a link is a pair that stands in some list and passes verify.
+def connect(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, may: Callable[[str, str], Column] | None = None, odd: str = "id", before: str | None = None) -> DataFrame:
+    """id with label for the groups of ids that links join; a link is a pair that stands in some list and passes verify.
 
-    lists: v, id and whatever may() looks at; may(p, q) is a cheap necessary condition on the aliases p and q. Every list's
-    hub, its member of the least column odd and then id, is tried against the others first, which connects a list of near
+    lists: v, id and whatever may() looks at; may(p, q) is a cheap necessary condition on the columns prefixed p and q, part of
+    the joins, so pairs that fail it never become rows. Every list's hub, its member of the least column odd and then id, is tried against the others first, which connects a list of near
     copies in as many pairs as it has members.
     Only pairs that are still in different groups are tried then, so that groups come out as if all pairs had been tried.
+    before names a column with the values of an id's earlier lists, in an order that all ids share: with it these pairs become
+    rows in the first list that has both, and nowhere else.
     """
-    lists = lists.where(F.col("id").isNotNull())
-    hubs = scratch.save(lists.groupBy("v").agg(F.min(F.struct(odd, F.col("id").alias("_id")))["_id"].alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    lists = scratch.save(lists.join(hubs, "v"))
+    cols = [c for c in lists.columns if c not in ("v", before)]
+    own = Window.partitionBy("v")
+    hub = F.min(F.struct(F.col(odd).alias("_odd"), F.col("id").alias("_id"), *[F.col(c).alias(f"h_{c}") for c in cols])).over(own)
+    lists = lists.where(F.col("id").isNotNull()).withColumn("hub", hub).withColumn("size", F.count("*").over(own)).where("size > 1").drop("size")
+    earlier = [before] if before else []
+    lists = scratch.save(lists.select("v", *earlier, *cols, *[F.col("hub")[f"h_{c}"].alias(f"h_{c}") for c in cols]))
     may = may or (lambda p, q: F.lit(True))
-    cols = [c for c in lists.columns if c not in ("v", "hub")]
-    hub_rows = lists.where("id = hub").select("v", *[F.col(c).alias(f"h_{c}") for c in cols])
-    first = lists.where("id <> hub").join(hub_rows, "v").where(_on(may, cols, "h_", "")).select(F.col("h_id").alias("a"), F.col("id").alias("b")).distinct()
+    first = lists.where("id <> h_id").where(may("h_", "")).select(F.col("h_id").alias("a"), F.col("id").alias("b")).distinct()
     links = scratch.save(verify(first))
     groups = components(links, scratch)
-    now = lists.join(groups.withColumnRenamed("label", "g"), "id", "left").withColumn("g", F.coalesce("g", "id"))
+    now = lists.select("v", *earlier, *cols, F.col("h_id").alias("hub")).join(groups.withColumnRenamed("label", "g"), "id", "left").withColumn("g", F.coalesce("g", "id"))
     sizes = now.groupBy("v", "g").agg(F.count("*").alias("n"))
     split = sizes.groupBy("v").agg(F.max_by("g", F.struct("n", "g")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     rest = scratch.save(now.join(split, "v"))
-    mine = lambda p: rest.select("v", *[F.col(c).alias(p + c) for c in (*cols, "g", "main", "hub")])
+    mine = lambda p: rest.select("v", *[F.col(c).alias(p + c) for c in (*cols, *earlier, "g", "main", "hub")])
     p = mine("p_").where("p_g <> p_main and p_id <> p_hub")
     q = mine("q_").where("q_id <> q_hub")
-    more = p.join(q, "v").where("p_g <> q_g and (q_g = q_main or p_id < q_id)").where(_on(may, cols, "p_", "q_"))
-    more = more.select(F.least("p_id", "q_id").alias("a"), F.greatest("p_id", "q_id").alias("b")).distinct()
+    more = p.join(q, "v").where("p_g <> q_g and (q_g = q_main or p_id < q_id)").where(may("p_", "q_"))
+    for c in earlier:
+        more = more.where(~F.arrays_overlap(f"p_{c}", f"q_{c}"))
+    more = scratch.save(more.select(F.least("p_id", "q_id").alias("a"), F.greatest("p_id", "q_id").alias("b")).distinct())
     found = scratch.save(verify(more))
-    scratch.drop(hubs, lists, rest)
-    if found.isEmpty():
-        return links, groups
-    links = links.unionAll(found)
-    return links, components(links, scratch)
-
-
-def _on(may, cols, p, q):
-    return may(p, q)
+    scratch.drop(lists, rest, more)
+    return groups if found.isEmpty() else components(links.unionAll(found), scratch)

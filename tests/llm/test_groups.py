@@ -66,7 +66,7 @@ def test_connect_tries_every_pair_that_can_matter(spark):
     together = {(i, j) for i, j in links if any((v, i) in lists and (v, j) in lists for v in range(6))}
     good = spark.createDataFrame(sorted(links), "a long, b long")
     verify = lambda pairs: pairs.select(*[f(c) for c, f in ()] or ["a", "b"]).join(good, ["a", "b"])
-    _, groups = graph.connect(spark.createDataFrame(sorted(lists), "v long, id long"), verify, Scratch(spark))
+    groups = graph.connect(spark.createDataFrame(sorted(lists), "v long, id long"), verify, Scratch(spark))
     want = union(range(60), together)
     got = {r.id: r.label for r in groups.collect()}
     for i in range(60):
@@ -96,11 +96,10 @@ def make(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "size", "num", "den", "whole"), [(1, 3, 85, 100, 256), (1, 3, 85, 100, 64), (2, 5, 4, 5, 90), (3, 1, 1, 2, 1)])
-def test_near_duplicates(spark, monkeypatch, seed, size, num, den, whole):
-    monkeypatch.setattr(neardup, "WHOLE", whole)
+@pytest.mark.parametrize(("seed", "size", "num", "den", "k"), [(1, 3, 85, 100, 64), (1, 3, 85, 100, 300), (2, 5, 4, 5, 48), (3, 1, 1, 2, 64)])
+def test_near_duplicates(spark, seed, size, num, den, k):
     rows = make(seed)
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size, num, den).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size, num, den, k).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near(rows, size, num, den)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -118,6 +117,27 @@ def test_documents_of_the_smallest_table(spark, sf_dir):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near([(r.doc_id, r.text) for r in docs.collect()], 3, 85, 100)
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    a = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    b = list(a)
+    for i in range(0, len(a), 100):  # three shingles of each hundred go
+        b[i] = "x"
+    c = [x if i % 20 else "y" for i, x in enumerate(a)]  # three of each twenty
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, " ".join(a))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_parity_counts_unlike_shingles_at_most():
+    rng = random.Random(3)
+    for n in (1, 40, 700, 5000):
+        a = neardup.np.unique(neardup.np.array([rng.getrandbits(64) for _ in range(n)], neardup._U))
+        b = neardup.np.unique(neardup.np.concatenate([a[n // 10 :], neardup.np.array([rng.getrandbits(64) for _ in range(n // 7)], neardup._U)]))
+        flipped = sum((int(x) ^ int(y)).bit_count() for x, y in zip(neardup.parity(a).view(neardup._U), neardup.parity(b).view(neardup._U), strict=True))
+        assert flipped <= len(neardup.np.setxor1d(a, b))
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(1, 99), st.integers(1, 200))
 def test_bound_on_sketches(percent, k):
