@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import Scratch, map_arrow, pieces, texts
+from linewright.llm.common import Scratch, map_arrow, pieces, reach_workers, texts
 
 N_FEATURES = 16
 #: Shares of the pooled covariance and of the scaled identity in a class's covariance.
@@ -126,18 +126,25 @@ def score(features_: DataFrame, model: Discriminant, threshold: float = 0.3) ->
     return map_arrow(features_.select("doc_id", "x"), _scores, "doc_id long, score double, predicted int", model, threshold)
 
 
-def _accept(batches, text, model, threshold):
-    for b in pieces(batches):
-        x = np.array([features(t) for t in texts(b.column(text))], float).reshape(b.num_rows, -1)
-        some = b.filter(pa.array(model.score(x) >= threshold))
-        yield {name: some.column(i) for i, name in enumerate(b.schema.names)}
+def _scorer(model: Discriminant):
+    """Scores of a text column; only texts and scores pass between the JVM and Python, rows stay where they are."""
+
+    def scores(column: pa.Array) -> pa.Array:
+        out = [np.zeros(0)]
+        for i in range(0, len(column), 500):
+            out.append(model.score(np.array([features(t) for t in texts(column.slice(i, 500))], float).reshape(-1, N_FEATURES)))
+        return pa.array(np.concatenate(out))
+
+    return scores
 
 
 def accept(docs: DataFrame, model: Discriminant, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose text scores threshold or more, as they are; the text is read and scored in place."""
-    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema)
-    return map_arrow(numbered, _accept, ddl, docs.columns.index("text"), model, threshold).toDF(*docs.columns)
+    """The rows of docs whose text scores threshold or more, as they are; a null text is empty, repeated rows share a fate.
+
+    Columns other than text are not looked at, so nulls and clashing names in them do not matter. Rows never meet.
+    """
+    reach_workers(docs.sparkSession)
+    return docs.where(F.arrow_udf(_scorer(model), "double")("text") >= threshold)
 
 
 def held_out(doc_id):
