@@ -112,7 +112,7 @@ def _verify(batches, num, den):
 
 
 def prefixes(nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """v, before, id, n, parities, must, sole, left: each node's rarest retained values that some other node also retains, as many as a pair must meet in.
+    """v, before, id, n, parities, must, odd, left: each node's rarest retained values that some other node also retains, as many as a pair must meet in.
 
     before: the node's values before this one. must: retained values that a similar set shares at least. sole: values that no other node retains. left: retained values
     from this one on, in order of rarity, which bounds what a pair first meeting here can share.
@@ -124,8 +124,9 @@ def prefixes(nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     whole = F.ceil(F.col("n") * F.lit(num) / F.lit(den) - 1e-9).cast("int")
     must = F.when(F.col("n") * den < k * num, whole).otherwise(F.least(whole, F.lit(least_shared(k, num, den))))
     rows = shared.join(nodes.select("node", "n", *PARITIES), "node").withColumn("must", must).withColumn("sole", held - F.size("s")).withColumn("take", held - F.col("must") + 1 - F.col("sole")).where("take > 0")
-    rows = rows.select("node", "n", *PARITIES, "must", "sole", F.col("s.v").alias("s"), F.posexplode(F.slice("s.v", F.lit(1), F.col("take"))).alias("i", "v"))
-    return rows.select("v", F.slice("s", F.lit(1), F.col("i")).alias("before"), F.col("node").alias("id"), "n", *PARITIES, "must", "sole", (held - F.col("sole") - F.col("i")).alias("left"))
+    rows = rows.withColumn("odd", -F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["f"]) / held)
+    rows = rows.select("node", "n", *PARITIES, "must", "sole", "odd", F.col("s.v").alias("s"), F.posexplode(F.slice("s.v", F.lit(1), F.col("take"))).alias("i", "v"))
+    return rows.select("v", F.slice("s", F.lit(1), F.col("i")).alias("before"), F.col("node").alias("id"), "n", *PARITIES, "must", "odd", (held - F.col("sole") - F.col("i")).alias("left"))
 
 
 def row_key():
@@ -164,7 +165,7 @@ def find_groups(docs: DataFrame, scratch: Scratch, shingle: int, num: int, den:
         whole = near.join(of("b"), "b").join(of("a"), "a").select("a", "b", "s_a", "s_b")
         return map_arrow(whole, _verify, "a long, b long", num, den)
 
-    groups = connect(lists, verify, scratch, may, "sole", "before")
+    groups = connect(lists, verify, scratch, may, "odd", "before")
     labelled = nodes.select("node", "d", "e", "rep").join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     firsts = scratch.save(labelled.groupBy("label").agg(F.min("rep").alias("first")))
     named = scratch.save(labelled.join(firsts, "label").select("d", "e", "first"))
