@@ -24,7 +24,6 @@ from linewright.llm.fingerprint import Words, mix
 
 #: Classes of one gram that a task gathers, symbols that a solver gets at once, windows cut at a time.
 GROUP, SHARD, CHUNK = 4096, 1 << 20, 1 << 19
-HOT = 1000
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -168,12 +167,9 @@ def repeated(docs: DataFrame, scratch: Scratch, symbols: Symbols, length: int, g
     """
     width = 8 if symbols.words else 1
     every = scratch.save(map_arrow(docs.select("row", "doc", "text"), _anchors, "row long, doc long, gram long, whole long, lo int, hi int", symbols, length, gram))
-    again = scratch.save(every.groupBy("gram").agg(F.count("*").alias("f")).where("f > 1"))
-    # anchors of a gram with more than one in HOT of them all stay where they are: there are fewer than HOT such grams
-    hot = F.broadcast(again.where(F.col("f") * HOT > every.count()).select("gram"))
-    cold = every.join(hot, "gram", "left_anti").join(again.select("gram"), "gram")
-    some = scratch.save(every.join(hot, "gram", "left_semi").unionByName(cold))
-    scratch.drop(every, again)
+    again = every.groupBy("gram").agg(F.count("*").alias("f")).where("f > 1").drop("f")
+    some = scratch.save(every.join(again, "gram"))
+    scratch.drop(every)
     classes = scratch.save(some.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row", "lo", "hi")).alias("first")))
     several = classes.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1")
     wanted = classes.join(several, "gram").select(F.col("first.row").alias("row"), F.struct("gram", "whole", "n", F.col("first.doc").alias("doc"), "many", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi")).alias("x"))
