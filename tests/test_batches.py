@@ -65,3 +65,33 @@ def test_ratios_of_batches(rows, dense):
     a, b, _ = columns(rows)
     assert text._ratios(a, b).to_pylist() == [None if None in r[:2] else SequenceMatcher(None, *r[:2], autojunk=False).quick_ratio() for r in rows]
     text.DENSE = 1 << 22
+
+
+def test_runs_of_many_kinds():
+    """Keys of runs that would not fit in 62 bits are made small again on the way."""
+    import numpy as np
+
+    from linewright.functions import codes
+
+    texts = ["".join(chr(0x4E00 + (7 * i * i + j) % 2000) for j in range(i)) for i in range(60)] * 2
+    held: Counter = Counter()
+    _, points, start = codes.codes(pa.array(texts))
+    codes.count_runs(held, [points], start, 9)
+    assert codes.prefixes(held) == Counter((t[i : i + n],) for t in texts for n in range(1, 10) for i in range(len(t) - n + 1))
+    assert codes.runs(np.zeros(0, np.int64), np.zeros(1, np.int64), 3)[0].size == 0
+
+
+def test_counts_hold_one_row_per_text(spark):
+    """Places are not exploded, so nothing but texts and sums goes from task to task."""
+    from linewright.operators import errors, ngrams
+
+    rows = spark.createDataFrame([("a", "tbe", "the"), ("b", "", "x"), ("c", "ab", "abc"), ("c", None, "y"), ("a", "tbe", "the")], "line_id string, ocr string, gt string")
+    counts, places = ngrams.count(rows, ["ocr", "gt"], 2), errors.positional_confusions(rows, 2)
+    vocab = spark.createDataFrame([("t", 0), ("b", 1), ("tb", 2)], "ngram string, id int")
+    sums = ngrams.id_sums(rows, "ocr", vocab, 2, "line_id")
+    assert not any("Generate" in df._jdf.queryExecution().executedPlan().toString() for df in (counts, places))
+    assert {r.ngram: r.cnt for r in counts.collect()} == {"t": 4, "b": 4, "e": 4, "h": 2, "a": 2, "c": 1, "x": 1, "y": 1, "tb": 2, "be": 2, "th": 2, "he": 2, "ab": 2, "bc": 1}
+    assert {(r.raw, r.gt): r.cnt for r in places.collect()} == {("t", "t"): 2, ("b", "h"): 2, ("e", "e"): 2, ("tb", "th"): 2, ("be", "he"): 2, ("a", "a"): 1, ("b", "b"): 1, (GAP, "c"): 1, ("ab", "ab"): 1, ("b" + GAP, "bc"): 1}
+    ids = ngrams.ids(rows, "ocr", vocab, 2, "line_id").groupBy("line_id", "n").agg({"id": "count"})
+    assert {(r.line_id, r.n) for r in ids.collect()} == {(r.line_id, r.n) for r in sums.collect()}
+    assert {(r.line_id, r.n): (r.known, r.id_sum) for r in sums.collect()}["a", 1] == (4, 2 * (0 + 2 * 1 - 3)) and ("b", 1) not in {(r.line_id, r.n) for r in sums.collect()}
