@@ -103,3 +103,12 @@ def test_ties_do_not_hang_on_the_order_of_sums(spark):
 
     rows = spark.createDataFrame([(63281.25000000008,), (63281.2499999999,), (63281.2,)], "x double")
     assert [r.s for r in rows.select(text.scientific(F.col("x")).alias("s")).collect()] == ["6.32813e+04", "6.32813e+04", "6.32812e+04"]
+
+
+def test_regions_come_together_once(spark):
+    from linewright.operators import page
+
+    rows = spark.createDataFrame([(1, 0, 1, 1, 0, "d"), (1, 0, 0, 0, 1, "b"), (1, 0, 0, 0, 0, "a"), (1, 0, 0, 1, 0, None), (1, 0, 1, 0, 0, "c"), (1, 1, 2, 0, 0, ""), (2, 0, 0, 0, 0, "x")], "page_id int, region int, line int, word int, glyph int, text string")
+    found = page.roll_up(rows, "glyph")
+    assert {(r.page_id, r.region): r.text for r in found.collect()} == {(1, 0): "ab \nc d", (1, 1): "", (2, 0): "x"}
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
